@@ -1,0 +1,74 @@
+"""Documents with placeholders, filler, error messages or script notices where content should be."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .text import table, words
+
+CODE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*\r?$|\Z)|`[^`\n]+`|^[ \t]*>[^\n]*$")
+QUOTED = re.compile(r"\"[^\"]{1,600}\"|“[^”]{1,600}”|„[^“”]{1,600}[“”]|«[^»]{1,600}»|(?<!\w)'[^'\n]{1,300}'(?!\w)")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\r?\n\s*\r?\n")
+HOLDER = re.compile(
+    r"\{\{[^{}\n]{1,40}\}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,40}%>|@@\w{1,40}@@|(?<!\w)__[A-Z][A-Z_]*__(?!\w)|\bXX_[A-Z_]+_XX\b|\[\[[a-z_ ]{1,40}\]\]"
+    r"|[#$]\{\w{1,40}\}|(?<!\w)%[A-Z][A-Z_]+%(?!\w)|(?<![\w{$#])\{[a-z][a-z_]*\}(?!\})"
+    r"|(?i:<your\s[^<>]{1,40}>|\[(?:insert|your)\s[^\]]{1,40}\]|\[image caption:\s*insert[^\]]*\])"
+)
+#: A sentence that speaks of placeholders, as one on a template language does.
+SUBJECT = re.compile(r"(?i)\b(?:variables?|renderer|template (?:engine|language)|syntax|placeholders?|is written|are written|stands for|fills? it in|jinja|mustache|mock-?up|filter)\b")
+LOREM = set(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
+    "consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
+FILLER = re.compile(
+    r"(?im)\byour text goes here\b|^\W*sample heading \d+\W*$|\bplaceholder paragraph, please replace\b|\bitem \d+ description goes here\b|\breplace this paragraph with your own\b|\basdf(?:\s+\w+){0,2}\s+asdf\b"
+    r"|\btest test \d+ test\b|\b(?:description|text|content|title|heading) goes here\b"
+)
+NOTICE = re.compile(
+    r"(?im)\b(?:you need|please|must|have)\s(?:to\s)?(?:enable|turn on|activate|allow)\s+javascript\b[^.\n]*\b(?:to|in)\b|\bbitte aktivieren sie javascript\b|\bcette page demande un navigateur avec scripts actifs\b"
+    r"|^\W*scripts are blocked\b|\bhas scripting switched off\b|\ballow active content and refresh\b|\bactive javascript\b.*\bpour\b|\bveuillez activer javascript\b|\bactiv[ea] javascript para\b|\bthis (?:page|site|app|application) (?:needs|requires) (?:java)?scripts? to\b|^\W*checking your browser before you can\b"
+)
+_START = r"(?:^|[.!?:]\s+)[#*=\s\d–-]*"
+ERROR = re.compile(
+    rf"(?im){_START}too many requests\s*[.:!]|\bsomething went wrong on our side\b|{_START}service (?:temporarily )?unavailable\b\s*(?:[.:!]|$)|{_START}\d{{3}}\s*[-–:]?\s*(?:page )?(?:not found|forbidden|bad gateway|internal server error|service unavailable)\b"
+    rf"|^\W*(?:\d{{3}}\W+)?(?:page )?not found\W*$|\bthe upstream server gave no valid reply\b|^\W*access denied\W*(?:$|you\b)|\byou do not have permission to view this resource\b|\byour session has expired\b.*|^\W*internal server error\b"
+    rf"|^\W*traceback \(most recent call last\):|\bseite nicht gefunden\b|\bmysql_query\(\)|^\W*(?:fatal error|warning): .*\bon line \d+|\bmerci de réessayer plus tard\b|\bpágina no encontrada\b|\bpage introuvable\b|^\W*(?:\d{{3}}\W+)?bad gateway\b"
+)
+
+
+#: Literals without one of which no FILLER, NOTICE or ERROR can match; they spare most texts the expressions.
+HINTS = re.compile(
+    r"goes here|sample heading|placeholder|your own|asdf|test test|javascript|scripts|scripting|active content|checking your browser|too many|went wrong|unavailable"
+    r"|not found|forbidden|gateway|server|denied|permission|expired|traceback|gefunden|mysql_query|fatal error|warning: |réessayer|encontrada|introuvable"
+)
+MARKS = re.compile(r"\{\{|\{%|<%|@@|__|XX_|\[\[|[#$]\{|%[A-Z]|\{[a-z]|<your|\[(?:insert|your|image)", re.I)
+
+
+def residue(text: str) -> bool:
+    low = text.lower()
+    hinted, marked = HINTS.search(low), MARKS.search(text)
+    filled = sum(x in LOREM for x in words(low)) >= 3
+    if not (hinted or marked or filled):
+        return False
+    text = QUOTED.sub(" ", CODE.sub(" ", text))
+    if hinted and (FILLER.search(text) or NOTICE.search(text) or ERROR.search(text)):
+        return True
+    for s in SENTENCE.split(text):
+        if marked and HOLDER.search(s) and not SUBJECT.search(HOLDER.sub(" ", s)):
+            return True
+        w = words(s) if filled else ()
+        if len(w) >= 4 and sum(x in LOREM for x in w) >= 0.7 * len(w):
+            return True
+    return False
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def has(text: pd.Series) -> pd.Series:
+        return text.map(residue).astype(bool)
+
+    return table(spark, sf_dir, "documents").where("text is not null").where(has("text")).select("doc_id")

@@ -1,0 +1,53 @@
+"""Train examples laid into sequences of their run's seq_len, longest first, each where it leaves the least room."""
+
+from __future__ import annotations
+
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .text import table
+
+
+def pack(lengths, room: int) -> tuple[list[int], list[int]]:
+    """The sequence of each length (none above room, longest first) and the room left in each sequence."""
+    free, left, out, open_rooms = {}, [], [], []  # free: sequences by room left; open_rooms: these rooms in order
+    for n in lengths:
+        i = bisect_left(open_rooms, n)
+        if i < len(open_rooms):
+            at = free[open_rooms[i]].pop()
+            if not free[open_rooms[i]]:
+                del free[open_rooms.pop(i)]
+        else:
+            at = len(left)
+            left.append(room)
+        out.append(at)
+        left[at] -= n
+        if left[at]:
+            if left[at] not in free:
+                free[left[at]] = []
+                insort(open_rooms, left[at])
+            free[left[at]].append(at)
+    return out, left
+
+
+def p1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, example_id, part, sequence_no, n_tokens, unused_tokens (of the run). An example longer than seq_len comes in parts; those without tokens are left out."""
+    examples = table(spark, sf_dir, "train_examples").where("split = 'train' and n_tokens > 0").select("run_id", "example_id", "n_tokens").distinct()
+    plans = table(spark, sf_dir, "run_plans").where("seq_len > 0").select("run_id", "seq_len")
+
+    def lay(rows: pd.DataFrame) -> pd.DataFrame:
+        room, n = int(rows["seq_len"].iloc[0]), rows["n_tokens"].to_numpy(np.int64)
+        parts = (n + room - 1) // room
+        of = np.repeat(np.arange(len(n)), parts)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        length = np.minimum(room, n[of] - part * room)
+        order = np.lexsort((part, rows["example_id"].to_numpy()[of], -length))
+        at, left = pack(length[order].tolist(), room)
+        of, part, length = of[order], part[order], length[order]
+        return pd.DataFrame({"run_id": rows["run_id"].iloc[0], "example_id": rows["example_id"].to_numpy()[of], "part": part, "sequence_no": at, "n_tokens": length, "unused_tokens": sum(left)})
+
+    return examples.join(F.broadcast(plans), "run_id").groupBy("run_id").applyInPandas(lay, "run_id string, example_id long, part long, sequence_no long, n_tokens long, unused_tokens long")

@@ -1,0 +1,91 @@
+"""Copies: the same letters and digits in the same order, fields in any order."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .text import WORD, kept, table
+
+FIELD = re.compile(r"\s*([^:\s][^:]*?)\s*:(?:\s+(.*?))?\s*")
+
+
+def letters(text: str) -> str:
+    return "".join(WORD.findall(text.lower()))
+
+
+def _flat(value) -> str:
+    if isinstance(value, list):
+        return "".join(map(_flat, value))
+    if isinstance(value, tuple):  # a nested object
+        return "".join(sorted(letters(k) + _flat(v) for k, v in value))
+    if value is None or isinstance(value, bool):
+        return json.dumps(value)
+    return letters(value)
+
+
+def fields(text: str) -> list[str] | None:
+    """The fields of one JSON object or of ``key: value`` lines, in sorted order; None for any other text."""
+    if text.lstrip("﻿ \t\r\n").startswith("{"):
+        try:
+            value = json.loads(text.strip("﻿ \t\r\n"), object_pairs_hook=tuple, parse_float=str, parse_int=str, parse_constant=str, strict=False)
+        except (ValueError, RecursionError):
+            return None
+        # an empty object has no fields and, like a list, is no case
+        return sorted(letters(k) + _flat(v) for k, v in value) if isinstance(value, tuple) and value else None
+    found = []
+    for line in re.split(r"\r\n|\r|\n", text):
+        if line.strip():
+            if not (m := FIELD.fullmatch(line)):
+                return None
+            found.append(letters(m[1]) + letters(m[2] or ""))
+    return sorted(found) or None
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for rec_id, text in zip(batch["rec_id"], batch["text"]):
+            if plain := letters(text):
+                parts = fields(text)
+                out.append((rec_id, _digest(plain), _digest("\0".join(parts)) if parts else None))
+        yield pd.DataFrame(out, columns=["rec_id", "plain", "parts"]).astype({"rec_id": "int64"})
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id, first_rec_id of every record whose text has a letter or digit."""
+    keyed = kept(
+        table(spark, sf_dir, "records")
+        .where("text is not null")
+        .select("rec_id", "text")
+        .mapInPandas(_keys, "rec_id long, plain string, parts string")
+    )
+    label = keyed.groupBy("plain").agg(F.min("rec_id").alias("label"))
+    pairs = keyed.where("parts is not null").select("plain", "parts").distinct()
+    # Texts of one plain key and texts of one set of fields are the same group, over any number of steps.
+    now = kept(pairs.join(label, "plain"))
+    while True:
+        by_parts = now.groupBy("parts").agg(F.min("label").alias("low"))
+        by_plain = now.select("plain", "parts", "label").join(by_parts, "parts").groupBy("plain").agg(F.min("low").alias("new"))
+        after = kept(now.join(by_plain, "plain").select("plain", "parts", "new", "label"))
+        changed = after.where("new < label").limit(1).count()
+        now = after.select("plain", "parts", F.col("new").alias("label"))
+        if not changed:
+            break
+    joined = now.groupBy("plain").agg(F.min("label").alias("low"))
+    label = label.join(joined, "plain", "left").select("plain", F.coalesce("low", "label").alias("first_rec_id"))
+    return keyed.join(label, "plain").select("rec_id", "first_rec_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(spark, sf_dir).where("first_rec_id < rec_id").select("first_rec_id", "rec_id")

@@ -1,0 +1,220 @@
+"""Held-out records that are, exactly or almost, in a training record.
+
+Two word lists of at most n words within d <= n / 10 edits: of any d + 1 disjoint windows of one list, one is in the
+other list unchanged. So each held-out list is told by its d + 1 rarest disjoint windows, the training lists are looked
+through for these, and every pair found is measured. No pair is lost, whatever the estimate of rarity says.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .p3_copies import groups
+from .text import kept, table, words
+
+#: Words of a window for lists of 18 and more words, and of 9 to 17; shorter lists allow no edit and are left to p3.
+LONG, SHORT = 6, 4
+SAMPLE = 4000
+
+
+@lru_cache(1 << 18)
+def _word(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little", signed=True)
+
+
+def encode(text: str) -> np.ndarray:
+    return np.array([_word(x) for x in words(text)], dtype=np.int32)
+
+
+def windows(w: np.ndarray, length: int) -> np.ndarray:
+    """One number for each window of so many words."""
+    if len(w) < length:
+        return np.empty(0, np.int64)
+    w, n = w.astype(np.uint32).astype(np.uint64), len(w) - length + 1
+    out = np.full(n, length, np.uint64)
+    for i in range(length):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    return out.view(np.int64)
+
+
+def edits(n: int) -> int:
+    """The most edits of a pair in which one list has n words."""
+    return n // 9
+
+
+def choose(cost: np.ndarray, length: int, count: int) -> list[int]:
+    """Starts of so many disjoint windows with the least sum of costs."""
+    if not cost.any():
+        return [i * length for i in range(count)]
+    n = len(cost)
+    best = np.full((n + length, count + 1), np.inf)  # best[i, k]: k windows at i or later
+    best[n:, 0] = 0
+    for i in range(n - 1, -1, -1):
+        best[i] = best[i + 1]
+        np.minimum(best[i, 1:], best[i + length, :-1] + cost[i], out=best[i, 1:])
+    out, i = [], 0
+    for k in range(count, 0, -1):
+        while best[i, k] == best[i + 1, k]:
+            i += 1
+        out.append(i)
+        i += length
+    return out
+
+
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether at most so many edits make one list the other (bit-parallel edit distance)."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = a.tolist(), b.tolist()
+    bag = Counter(a)
+    if max(len(a), len(b)) - (bag & Counter(b)).total() > most:
+        return False
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    mask, top, dist = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    pv, mv = mask, 0
+    for x in b:
+        eq = at.get(x, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (~(xh | pv) & mask), pv & xh
+        dist += bool(ph & top) - bool(mh & top)
+        ph = (ph << 1 | 1) & mask
+        mh = mh << 1 & mask
+        pv, mv = mh | (~(xv | ph) & mask), ph & xv
+    return dist <= most
+
+
+def almost(a: np.ndarray, b: np.ndarray) -> bool:
+    return within(a, b, max(len(a), len(b)) // 10)
+
+
+def _bits(x: np.ndarray, power: int) -> np.ndarray:
+    return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - power)).astype(np.int64)
+
+
+def marked(bitmap: tuple[int, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """False only for numbers that are not in the bitmap; true for some of these too."""
+    at = _bits(x, bitmap[0])
+    return (bitmap[1][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(df: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap of the numbers in column x, of at most 8 MB whatever their number."""
+    power = min(26, max(16, (16 * df.count()).bit_length()))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << power, bool)
+        for batch in batches:
+            bits[_bits(batch["x"].to_numpy(np.int64), power)] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << power - 3, np.uint8)
+    for row in df.coalesce(4).mapInPandas(part, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return power, out
+
+
+def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for rec_id, text, held in zip(batch["rec_id"], batch["text"], batch["held"]):
+            if len(w := encode(text)) >= 9:
+                raw = w.tobytes()
+                out.append((rec_id, held, len(w), raw))
+        yield pd.DataFrame(out, columns=["id", "held", "n", "raw"]).astype({"id": "int64", "n": "int32"})
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """train_id, held_id of the pairs that are the same or almost the same list of at least nine words."""
+    coded = kept(
+        table(spark, sf_dir, "records")
+        .where("text is not null and split in ('train', 'val', 'test')")
+        .select("rec_id", "text", (F.col("split") != "train").alias("held"))
+        .mapInPandas(_encode, "id long, held boolean, n int, raw binary")
+    )
+
+    total = coded.where("not held").count()
+    sample = coded.where("not held").where(F.pmod(F.xxhash64("id"), F.lit(1000000)) < 1000000 * SAMPLE // max(total, 1)).select("raw").limit(2 * SAMPLE).collect()
+    common = {}
+    for length in (LONG, SHORT):
+        seen, times = np.unique(np.concatenate([np.empty(0, np.int64), *(np.unique(windows(np.frombuffer(r.raw, np.int32), length)) for r in sample)]), return_counts=True)
+        common[length] = seen[times > 1], times[times > 1].astype(float)
+    del sample
+    common_b = spark.sparkContext.broadcast(common)
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rec_id, n, raw in zip(batch["id"], batch["n"], batch["raw"]):
+                length = LONG if n >= 18 else SHORT
+                win = windows(np.frombuffer(raw, np.int32), length)
+                seen, times = common_b.value[length]
+                cost = np.zeros(len(win))
+                if len(seen):
+                    place = np.minimum(np.searchsorted(seen, win), len(seen) - 1)
+                    cost = np.where(seen[place] == win, times[place], 0.0)
+                out += [(rec_id, n, i, win[i]) for i in choose(cost, length, edits(n) + 1)]
+            yield pd.DataFrame(out, columns=["held_id", "held_n", "held_at", "win"]).astype({"held_id": "int64", "held_n": "int32", "held_at": "int32", "win": "int64"})
+
+    told = kept(coded.where("held").select("id", "n", "raw").mapInPandas(tell, "held_id long, held_n int, held_at int, win long"))
+    wanted = spark.sparkContext.broadcast(bitmap(told.select(F.col("win").alias("x"))))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        want = wanted.value
+        for batch in batches:
+            ids, ns, ats, wins = [], [], [], []
+            for rec_id, n, raw in zip(batch["id"], batch["n"], batch["raw"]):
+                w = np.frombuffer(raw, np.int32)
+                for length in (LONG, SHORT) if n <= 18 else (LONG,):
+                    win = windows(w, length)
+                    if len(win):
+                        hit = np.flatnonzero(marked(want, win))
+                        ids.append(np.full(len(hit), rec_id)), ns.append(np.full(len(hit), n)), ats.append(hit), wins.append(win[hit])
+            cat = lambda x, t: np.concatenate([np.empty(0, t), *x]).astype(t)
+            yield pd.DataFrame({"train_id": cat(ids, np.int64), "train_n": cat(ns, np.int32), "train_at": cat(ats, np.int32), "win": cat(wins, np.int64)})
+
+    found = coded.where("not held").select("id", "n", "raw").mapInPandas(look, "train_id long, train_n int, train_at int, win long")
+    most = F.floor(F.greatest("held_n", "train_n") / 10)
+    pairs = kept(
+        found.join(told, "win")
+        .where((F.abs(F.col("held_n") - F.col("train_n")) <= most) & (F.abs(F.col("held_at") - F.col("train_at")) <= most))
+        .select("train_id", "held_id")
+        .distinct()
+    )
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [almost(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(batch["train_raw"], batch["held_raw"])]
+            yield batch.loc[keep, ["train_id", "held_id"]]
+
+    def raws(side: str, held: bool) -> DataFrame:
+        """The lists of one side that are in a pair; without the bitmap every list would be shuffled."""
+        bits = spark.sparkContext.broadcast(bitmap(pairs.select(F.col(f"{side}_id").alias("x"))))
+
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[marked(bits.value, batch[f"{side}_id"].to_numpy(np.int64))]
+
+        lists = coded.where("held" if held else "not held").select(F.col("id").alias(f"{side}_id"), F.col("raw").alias(f"{side}_raw"))
+        return lists.mapInPandas(some, f"{side}_id long, {side}_raw binary")
+
+    return pairs.join(raws("held", True), "held_id").join(raws("train", False), "train_id").mapInPandas(measure, "train_id long, held_id long")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = table(spark, sf_dir, "records").where("split in ('train', 'val', 'test')").select("rec_id", (F.col("split") != "train").alias("held"))
+    group = groups(spark, sf_dir).join(split, "rec_id")
+    group = kept(group)
+    side = lambda name, held: group.where("held" if held else "not held").select("first_rec_id", F.col("rec_id").alias(name))
+    copies = side("train_id", False).join(side("held_id", True), "first_rec_id").select("train_id", "held_id")
+    return copies.union(near(spark, sf_dir)).select(F.least("train_id", "held_id").alias("rec_id_a"), F.greatest("train_id", "held_id").alias("rec_id_b")).distinct()

@@ -1,0 +1,121 @@
+"""Broken answers in conversations, each with the kind of its defect."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .p3_copies import letters
+from .text import table, words
+
+ROLES = {"human": "user", "prompter": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant"}
+STAND_IN = {"", "null", "none", "nil", "na", "nan", "tbd", "todo", "empty", "undefined", "noanswer", "noresponse", "noreply", "blank", "noanswergiven", "notavailable", "notapplicable"}
+REFUSAL = re.compile(
+    r"\b(?:i(?:'m| am)? (?:must |have to )?(?:unable to|not able to|not permitted to|not allowed to|cannot|can't|can not|won't|will not|decline to|could not|couldn't)(?: be able to)?\s+"
+    r"(?:assist|help|answer|respond|provide|give|go into|talk|discuss|do|comply|share|support|offer|comment)|something i (?:won't|cannot|can't) (?:be able to )?do for you|i (?:must|have to) (?:decline|refuse)"
+    r"|je (?:ne peux pas|ne suis pas en mesure)|ich kann (?:ihnen |dir )?(?:dabei |hierbei |damit |darauf )?(?:leider )?nicht|no puedo (?:ayudar|responder|contestar))"
+)
+#: What may stand around a refusal without being an answer.
+POLITE = re.compile(r"^(?:hello|hi|hmm|thank you|thanks|sorry|apologies|unfortunately|regrettably|please|is there anything|consider asking|let me know|as a|as an|i hope|i understand|feel free|try asking|you (?:may|might|could) (?:ask|want to ask))\b")
+STOP = {
+    "en": "the of and to is was that this it for with as are be every another each our one so which when what how why i you not before after from on by will most".split(),
+    "de": "der die das und ist nicht ein eine den dem des mit auf für sich wird war wir sie auch aber von zu im noch dass wenn trotzdem nach am ich wie was warum heute".split(),
+    "fr": "le la les et est un une des du que qui ne pas dans pour sur avec ce cette il elle nous au aux plus mais quand sans par après était depuis aussi je vous comment pourquoi".split(),
+    "es": "el los las es un una del que no en para con por se su al más pero cuando sin después está también desde y lo esta este nos como cómo qué solo".split(),
+}
+STOP = {k: set(v) for k, v in STOP.items()}
+ASKED = re.compile(r"(?i)\b(?:translat\w*|übersetz\w*|tradui\w*|traduc\w*|(?:in|into|auf|ins|en|em|to|al) (?:plain |simple |good )?(?:french|german|spanish|english|deutsch\w*|englisch\w*|französisch\w*|spanisch\w*|français|allemand|anglais|espagnol|francés|alemán|inglés|español))\b")
+FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
+#: An answer's last word must be seen so often before its place is judged, and at an end so rarely to be held for a broken one.
+SEEN, ENDS = 30, 0.004
+
+
+def language(text: str) -> tuple[str, int, int]:
+    text = re.sub(r"```.*?(?:```|\Z)|`[^`]*`|“[^”]*”|\"[^\"]*\"|«[^»]*»", " ", text, flags=re.S)
+    count = Counter({k: 0 for k in STOP})
+    for w in words(text.replace("'", " ").replace("’", " ")):
+        for k, v in STOP.items():
+            count[k] += w in v
+    (first, n), (_, m) = count.most_common(2)
+    return first, n, m
+
+
+def refuses(text: str) -> bool:
+    text = text.lower().replace("’", "'")
+    parts = [p for p in re.split(r"(?<=[.!?:])\s+", text.strip()) if any(c.isalnum() for c in p)]
+    said = [bool(REFUSAL.search(p)) for p in parts]
+    return any(said) and all(s or POLITE.match(p) for s, p in zip(said, parts))
+
+
+def breaks_off(text: str, total: dict[str, int], ends: dict[str, int]) -> bool:
+    t = text.rstrip()
+    if len(FENCE.findall(t)) % 2:
+        return True
+    if FENCE.match(t.splitlines()[-1]) or t[-1] in ".!?…:`\"”»“'’)]}*_|>":
+        return bool(re.search(r"(?:^|\n)\s*(?:\d+[.)]|[-*])$", t))
+    if t[-1] in ",;(-–—[{/":
+        return True
+    last = words(t)
+    if len(last) < 4 or not t[-1].isalpha():
+        return False
+    n = total.get(last[-1], 0)
+    return n < 3 or n >= SEEN and ends.get(last[-1], 0) < ENDS * n
+
+
+def defect(question: str | None, answer: str | None, total: dict[str, int], ends: dict[str, int]) -> str | None:
+    if answer is None or (plain := letters(answer)) in STAND_IN:
+        return "empty"
+    question = question or ""
+    asked = letters(question)
+    if asked and plain.replace(asked, "", 1) in ("", "youasked", "yourquestion", "yourquestionwas", "question", "q", "youaskedme"):
+        return "copied_question"
+    if refuses(answer):
+        return "refusal"
+    a, an, am = language(answer)
+    q, qn, qm = language(question)
+    if a != q and an >= 2 and an >= am + 2 and qn >= 2 and qn >= qm + 2 and not ASKED.search(question):
+        return "other_language"
+    return "truncated" if breaks_off(answer, total, ends) else None
+
+
+def answers(messages) -> Iterator[tuple[int, str | None, str | None]]:
+    question, has = None, False
+    for turn, m in enumerate(messages):
+        role = ROLES.get((m["role"] or "").strip().lower()) if m is not None else None
+        if role == "user":
+            question, has = m["content"], True
+        elif role == "assistant" and has:
+            yield turn, question, m["content"]
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        total, ends = Counter(), Counter()
+        for messages in batch["messages"]:
+            for _, question, answer in answers(messages):
+                for text in (question, answer):
+                    text = (text or "").lower()
+                    total.update(words(text.rsplit(None, 1)[0] if text.strip() else ""))
+                    # a word at the end of a sentence; the end of the text tells nothing, it may be broken off
+                    ends.update(m[1] for m in re.finditer(r"([^\W_]+)[\"”»)]*[.!?](?=\s|$)", text))
+                    ends.update(m[1] for m in re.finditer(r"([^\W_]+)[ \t]*\r?\n(?=\s*(?:[-*]|\d+[.)]|$))", text))
+        yield pd.DataFrame([(w, n, ends[w]) for w, n in total.items()], columns=["word", "n", "e"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "records").where("messages is not null").select("rec_id", "messages")
+    seen = chats.mapInPandas(_places, "word string, n long, e long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).where("n >= 3").collect()
+    held = spark.sparkContext.broadcast(({r.word: r.n for r in seen}, {r.word: r.e for r in seen}))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, ends = held.value
+        for batch in batches:
+            out = [(i, turn, d) for i, ms in zip(batch["rec_id"], batch["messages"]) for turn, q, a in answers(ms) if (d := defect(q, a, total, ends))]
+            yield pd.DataFrame(out, columns=["rec_id", "turn", "defect"]).astype({"rec_id": "int64", "turn": "int64"})
+
+    return chats.mapInPandas(judge, "rec_id long, turn long, defect string")

@@ -1,0 +1,91 @@
+"""Source files that were generated, minified, brought in from elsewhere or are mostly data."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .text import suffix, table
+
+DIRS = {"third_party", "third-party", "thirdparty", "vendor", "vendored", "_vendored", "_vendor", "node_modules", "bower_components", "external", "externals", "deps", "gen", "generated", "_generated", "autogen", "build_out"}
+FILE = re.compile(r"(?:[._-]min|\.bundle|_pb2(?:_grpc)?|\.pb|\.g|\.gen|\.generated|_generated|_enum)\.(?:py|js|ts|c|go)$")
+HEADER = re.compile(
+    r"\b(?:auto-?generated file|(?:file|code) (?:was |is )?(?:auto(?:matically)?[- ]?)?generated (?:by|automatically|from)|automatically (?:built|generated) (?:file|by|from)|generated by (?:the )?\S+ compiler"
+    r"|machine-?made by|do not (?:edit|modify)|any change will be overwritten|manual (?:edits|changes)"
+    r"|third-party copy|vendored from|copied unchanged from|imported from \S+ @|bundled snapshot of|upstream tag|send fixes upstream|keep in step with upstream)\b"
+    r"|^\W*[a-z][\w.-]* v?\d+\.\d+(?:\.\d+)?\b"
+)
+COMMENT = re.compile(r"\s*(?://|#(?!\s*(?:include|define|ifdef|ifndef|if|endif|pragma)\b)|/\*|\*|<!--)")
+DOC = re.compile(r'("""|\'\'\'|`)(.*?)\1', re.S)
+LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b0[xX][0-9a-fA-F]+\w*|\b\d[\d_.]*(?:[eE][+-]?\d+)?\w?\b|\b(?:true|false|null|None|True|False|nil)\b")
+DEFINE = re.compile(r"\s*#\s*define\s+\w+\s+\S+\s*$")
+
+
+def header(text: str) -> str:
+    """The comment a file begins with, in lower case; no other comment counts."""
+    out = []
+    for line in text.lstrip("\ufeff").splitlines()[:40]:
+        if line.strip():
+            if line.startswith("#!"):
+                continue
+            if not COMMENT.match(line) or line.lstrip().startswith("/**"):
+                break
+            out.append(line.strip().lstrip("/#*! <-").lower())
+    return "\n".join(out[:12])
+
+
+def minified(text: str) -> bool:
+    lines = [x for x in text.splitlines() if x.strip() and not COMMENT.match(x)]
+    if not lines:
+        return False
+    body = "\n".join(lines)
+    blanks, mean = sum(map(str.isspace, body)) / len(body), len(body) / len(lines)
+    return mean >= 150 and blanks < 0.15 or mean >= 60 and blanks < 0.07 and sum(c in ";{}()=,&|?:" for c in body) > 0.12 * len(body)
+
+
+def data(text: str) -> bool:
+    def doc(m):
+        inner = m[2]
+        return "" if sum(map(str.isspace, inner)) > 0.08 * len(inner) else '"' + re.sub(r'[\s"\\]', "x", inner) + '"'
+
+    kept = total = 0
+    for line in DOC.sub(doc, text).splitlines():
+        n = len("".join(line.split()))
+        if not n or COMMENT.match(line):
+            continue
+        total += n
+        if DEFINE.match(line):
+            kept += n
+        else:
+            literal = sum(len("".join(m[0].split())) for m in LITERAL.finditer(line))
+            left = LITERAL.sub("", line)
+            kept += n if literal and not re.search(r"[^\W\d_]", left) else literal if literal > 0.6 * n else 0
+    return total > 0 and kept > 0.6 * total
+
+
+def uniform(text: str) -> bool:
+    """Whether most lines have one and the same form, as only a tool writes them."""
+    forms = Counter(re.sub(r"\w+", "x", " ".join(x.split())) for x in text.splitlines() if x.strip() and not COMMENT.match(x))
+    return forms.total() >= 10 and forms.most_common(1)[0][1] > 0.6 * forms.total()
+
+
+def foreign(source: str, text: str) -> bool:
+    if not any(c.isalnum() for c in text):
+        return False
+    path = re.sub(r":\d+$", "", source.strip().replace("\\", "/").lower()).split("/")
+    if DIRS.intersection(path[1:-1]) or FILE.search(path[-1]):
+        return True
+    return bool(HEADER.search(header(text))) or minified(text) or data(text) or uniform(text)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def is_foreign(source: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([foreign(s, t) for s, t in zip(source, text)], dtype=bool)
+
+    code = table(spark, sf_dir, "records").where(F.col("text").isNotNull() & suffix(F.col("source")).isin(".py", ".js", ".ts", ".c", ".go"))
+    return code.where(is_foreign("source", "text")).select("rec_id")

@@ -1,0 +1,47 @@
+"""Documents that hold at least 12 consecutive words of an evaluation item."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from .text import table, words
+
+RUN = 12
+
+
+def index(items) -> dict[tuple[str, ...], tuple[int, ...]]:
+    found = defaultdict(set)
+    for item_id, text in items:
+        w = words(text or "")
+        for i in range(len(w) - RUN + 1):
+            found[tuple(w[i : i + RUN])].add(item_id)
+    return {k: tuple(sorted(v)) for k, v in found.items()}
+
+
+def leaked(text: str, grams: dict, known: set[str]) -> set[int]:
+    w, found, since = words(text), set(), 0
+    for i, x in enumerate(w):
+        if x not in known:
+            since = i + 1
+        elif i - since + 1 >= RUN:
+            found.update(grams.get(tuple(w[i - RUN + 1 : i + 1]), ()))
+    return found
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text").collect()
+    held = spark.sparkContext.broadcast(index((r.item_id, r.text) for r in items))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = held.value
+        known = {x for g in grams for x in g}
+        for batch in batches:
+            out = [(d, i) for d, t in zip(batch["doc_id"], batch["text"]) for i in leaked(t, grams, known)]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return docs.mapInPandas(scan, "doc_id long, item_id long")

@@ -1,0 +1,32 @@
+"""What the operators share: words, suffixes and the readings of TESTDATA.md."""
+
+from __future__ import annotations
+
+import re
+import tempfile
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\W_]+")
+
+
+def words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def suffix(source: Column) -> Column:
+    """Suffix of a source in lower case, without a trailing ``:i``."""
+    return F.regexp_extract(F.lower(source), r"(\.[a-z0-9]+)(?::\d+)?\s*$", 1)
+
+
+def kept(df):
+    """The rows written to the checkpoint folder, which no lost executor takes along."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -1,0 +1,140 @@
+import random
+
+
+import __spark_entry__ as e
+
+RECORDS = "rec_id long, source string, text string, split string"
+
+
+def run(spark, name, sf_dir):
+    return sorted(tuple(r) for r in e.queries()[name](spark, sf_dir).collect())
+
+
+def test_entry_and_names(spark):
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_p3_found(spark, put):
+    rows = [
+        (7, "a.txt", "Hello,  World 1", "train"),
+        (3, "b.txt", "hello world-1", None),
+        (9, "c.jsonl:1", '{"name": "Ann", "n": 1.50}', "val"),
+        (5, "c.jsonl:2", "n: 1.50\nNAME: ann", "train"),
+        (11, "d.txt", "n 150 name ann", "train"),
+        (12, "d.txt", "n 15 name ann", "train"),
+        (13, "d.txt", "...", "train"),
+        (14, "d.txt", " ", "train"),
+        (15, "d.txt", None, "train"),
+        (16, "d.txt", "red apple", "train"),
+        (17, "d.txt", "apple red", "train"),
+    ]
+    assert run(spark, "p3_found", put("records", rows, RECORDS)) == [(3, 7), (5, 9), (5, 11)]
+
+
+def test_p5_found(spark, put):
+    rng = random.Random(1)
+    word = lambda: "w" + str(rng.randrange(300))
+    rows, hard = [], "if the thing is none then raise the value error here "
+    for i in range(60):
+        w = (hard.split() if i % 2 else []) + [word() for _ in range(rng.randrange(8, 90))]
+        rows.append((2 * i, "a.txt", " ".join(w), ("train", "val", "test", None)[i % 4]))
+        for _ in range(rng.randrange(len(w) // 6 + 1)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(2)] = [word() for _ in range(rng.randrange(2))]
+        rows.append((2 * i + 1, "a.txt", ", ".join(w).upper(), ("val", "train", "train", "val")[i % 4]))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    for a, _, s, u in rows:
+        for b, _, t, v in rows:
+            if u == "train" and v in ("val", "test"):
+                x, y = s.lower().replace(",", "").split(), t.lower().replace(",", "").split()
+                if 10 * distance(x, y) <= max(len(x), len(y)):
+                    want.add((min(a, b), max(a, b)))
+    assert 15 < len(want) < 60
+    assert run(spark, "p5_found", put("records", rows, RECORDS)) == sorted(want)
+
+
+def test_p8_found(spark, put):
+    item = " ".join(f"k{i}" for i in range(20))
+    put("eval_items", [(1, item), (2, item + " tail")], "item_id long, text string")
+    held = lambda a, b: "Said " + ",\n".join(f"K{i}" for i in range(a, b)) + " end"
+    rows = [(10, held(3, 15)), (11, held(3, 14)), (12, held(0, 6) + held(6, 12)), (13, None)]
+    assert run(spark, "p8_found", put("documents", rows, "doc_id long, text string")) == [(10, 1), (10, 2)]
+
+
+def test_p1_pack(spark, put):
+    put("run_plans", [("r", 10), ("s", 8)], "run_id string, seq_len int")
+    rows = [("r", 1, 6, "train"), ("r", 2, 4, "train"), ("r", 2, 4, "train"), ("r", 3, 23, "train"), ("r", 4, 7, "train"), ("r", 5, 0, "train"), ("r", 6, None, "train"), ("r", 7, 5, "val"), ("s", 8, 3, "train")]
+    got = run(spark, "p1_pack", put("train_examples", rows, "run_id string, example_id long, n_tokens long, split string"))
+    room, parts = {}, {}
+    for run_id, example, part, sequence, n, unused in got:
+        room[run_id, sequence] = room.get((run_id, sequence), 0) + n
+        parts.setdefault(example, []).append((part, n))
+        assert unused == {"r": 0, "s": 5}[run_id]
+    assert parts == {1: [(0, 6)], 2: [(0, 4)], 3: [(0, 10), (1, 10), (2, 3)], 4: [(0, 7)], 8: [(0, 3)]}
+    assert sorted(room.values()) == [3, 10, 10, 10, 10]
+
+
+def test_p6_found(spark, put):
+    ask, good = "What is the use of every cache that we keep?", "The cache keeps the rows of every table and that is why it is fast."
+    cases = [
+        (1, ask, None, "empty"),
+        (2, ask, " - ", "empty"),
+        (3, ask, "What is the use of every cache, that we keep", "copied_question"),
+        (4, ask, "Sorry, but I am unable to answer this. Please rephrase it.", "refusal"),
+        (5, ask, "Le cache garde les lignes et il est dans la table pour nous.", "other_language"),
+        (6, ask + " Answer in French.", "Le cache garde les lignes et il est dans la table pour nous.", None),
+        (7, ask, "Like this:\n```python\nkeep(rows", "truncated"),
+        (8, ask, "The cache keeps the rows, which the table (for", "truncated"),
+        (9, ask, "No.", None),
+        (10, ask, "The cache keeps the rows of every table", None),
+        (11, ask, "You cannot move the cache, and I am sorry that the page says so.", None),
+    ]
+    role = lambda k: ("Human", "GPT") if k % 2 else ("user", "assistant")
+    rows = [(k, [("system", "Be brief.")] + [(role(k)[0], q), (role(k)[1], a)]) for k, q, a, _ in cases]
+    rows += [(k, [("user", ask), ("assistant", good + " For the record, ask for the table.")]) for k in range(100, 140)] + [(200, [("assistant", None), ("user", ask)])]
+    got = run(spark, "p6_found", put("records", rows, "rec_id long, messages array<struct<role string, content string>>"))
+    assert got == [(k, 2, d) for k, _, _, d in cases if d]
+
+
+def test_p7_found(spark, put):
+    own = "import os\n\n\ndef keep(rows, limit=3):\n    for row in rows:\n        if row is None:\n            raise ValueError('no row')\n    return os.path.join(rows[0], 'x')\n"
+    rows = [
+        (1, "code/a/src/keep.py", own),
+        (2, "code/b/src/vendor_invoices.py", "# Reads the files that calb generated and reports them.\n" + own),
+        (3, "code/a/src/emit.py", own + "\nHEAD = '# Code generated by calb. DO NOT EDIT.'\n"),
+        (4, "code/a/src/x.go", "// Code generated by calb 1.2. DO NOT EDIT.\npackage x\n"),
+        (5, "./code\\a\\third_party\\b\\keep.PY", own),
+        (6, "code/a/src/y.js", "var a=k[l]||k.n(66);for(let y in t)e=y.j(96);function f(h,z){return f.q+20};" * 9),
+        (7, "code/a/src/z.c", "const unsigned char T[] = {\n" + "    0x8e, 0xe2, 0x06, 0xba,\n" * 20 + "};\n"),
+        (8, "notes/a.txt", "// Code generated by calb 1.2. DO NOT EDIT.\n"),
+        (9, "code/a/src/lib.ts:4", "// Vendored from daor 1.1.6; keep in step with upstream.\n" + own),
+    ]
+    assert run(spark, "p7_found", put("records", rows, "rec_id long, source string, text string")) == [(4,), (5,), (6,), (7,), (9,)]
+
+
+def test_p10_found(spark, put):
+    good = "The lab counted each cache line overnight and kept the run. "
+    rows = [
+        (1, good),
+        (2, good + "Your order of @@title@@ will reach you. " + good),
+        (3, good + "In Jinja a variable is written {{ name }}; the renderer of calb fills it in. " + good),
+        (4, good + "\n\n```\nHello {{ name }}\nyour text goes here\n```\n"),
+        (5, good + "\n\nLorem ipsum dolor sit amet. " + good),
+        (6, good + "Designers fill a mock-up with lorem ipsum, yet our filter must not drop it."),
+        (7, "You need to enable JavaScript to run the calb app."),
+        (8, "Old pages asked readers to enable JavaScript, a habit that calb has given up."),
+        (9, "404 - page not found\nHome | Help"),
+        (10, 'The log said "access denied" 4 times, and the export answers with 404 when the level is unknown.'),
+        (11, None),
+    ]
+    assert run(spark, "p10_found", put("documents", rows, "doc_id long, text string")) == [(2,), (5,), (7,), (9,)]
