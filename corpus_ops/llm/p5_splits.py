@@ -33,6 +33,10 @@ from .p3_copies import groups
 LONG, SHORT = 6, 4
 #: Least share of a span to be called frequent.
 FREQUENT = 2.5e-6
+#: Least share of all lists for a class to be known to all tasks by its first record; at most 1 / SHARED classes.
+SHARED = 1e-5
+#: Counters of a text's bag of words.
+BAG = 64
 
 
 def edits(n: int) -> int:
@@ -125,8 +129,9 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rec_id, text, held in zip(batch["rec_id"], batch["text"], batch["held"]):
             if len(w := encode(text)) >= 9:
                 raw = w.tobytes()
-                out.append((rec_id, held, len(w), raw, int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)))
-        yield pd.DataFrame(out, columns=["id", "held", "n", "raw", "class"]).astype({"id": "int64", "n": "int32", "class": "int64"})
+                bag = np.minimum(np.bincount(bits(w.astype(np.int64), 6), minlength=BAG), 255).astype(np.uint8)
+                out.append((rec_id, held, len(w), raw, bag.tobytes(), int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)))
+        yield pd.DataFrame(out, columns=["id", "held", "n", "raw", "bag", "class"]).astype({"id": "int64", "n": "int32", "class": "int64"})
 
 
 def _span(n: int) -> int:
@@ -187,23 +192,31 @@ def near(coded: DataFrame) -> DataFrame:
         .distinct()
     )
 
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One edit changes the bags by two words at most."""
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[f"{side}_bag"]), np.uint8).reshape(-1, BAG).astype(np.int32) for side in ("train", "held"))
+            yield batch.loc[np.abs(a - b).sum(axis=1) <= 2 * (np.maximum(batch["train_n"], batch["held_n"]) // 10).to_numpy(), ["train", "held"]]
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [almost(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(batch["train_raw"], batch["held_raw"])]
             yield batch.loc[keep, ["train", "held"]]
 
-    def raws(side: str, held: bool) -> DataFrame:
-        """The lists of one side that are in a pair; without the bitmap every list would be shuffled."""
+    def in_pairs(pairs: DataFrame, side: str, column: str, kind: str) -> DataFrame:
+        """A column of the lists of one side that are in a pair; without the bitmap every list would be shuffled."""
         bits_of = spark.sparkContext.broadcast(bitmap(pairs.select(F.col(side).alias("x"))))
 
         def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield batch[marked(bits_of.value, batch[side].to_numpy(np.int64))]
 
-        lists = coded.where("held" if held else "not held").select(F.col("class").alias(side), F.col("raw").alias(f"{side}_raw"))
-        return lists.mapInPandas(some, f"{side} long, {side}_raw binary")
+        lists = coded.where("held" if side == "held" else "not held").select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col(column).alias(f"{side}_{column}"))
+        return lists.mapInPandas(some, f"{side} long, {side}_n int, {side}_{column} {kind}")
 
-    return pairs.join(raws("held", True), "held").join(raws("train", False), "train").mapInPandas(measure, "train long, held long")
+    both = lambda pairs, column: pairs.join(in_pairs(pairs, "held", column, "binary"), "held").join(in_pairs(pairs, "train", column, "binary"), "train")
+    close = kept(both(pairs, "bag").mapInPandas(fits, "train long, held long").distinct())
+    return both(close, "raw").mapInPandas(measure, "train long, held long").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +227,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = side(group, "first_rec_id", "train_id", False).join(side(group, "first_rec_id", "held_id", True), "first_rec_id").select("train_id", "held_id")
 
     text = table(spark, sf_dir, "records").where("text is not null and rec_id is not null and split in ('train', 'val', 'test')").select("rec_id", "text", (F.col("split") != "train").alias("held"))
-    coded = kept(text.mapInPandas(_encode, "id long, held boolean, n int, raw binary, class long"))
-    classes = kept(coded.dropDuplicates(["class", "held"]).drop("id"))
+    coded = kept(text.mapInPandas(_encode, "id long, held boolean, n int, raw binary, bag binary, class long"))
+    # Classes of copies on one side are known by their first records; a class too rare for the list may come twice, which changes nothing.
+    least = max(2, int(SHARED * coded.count()))
+    first = kept(coded.groupBy("class", "held").agg(F.min("id").alias("first"), F.count("*").alias("size")).where(F.col("size") >= least).drop("size"))
+    classes = coded.join(F.broadcast(first), ["class", "held"], "left").where("first is null or first = id").drop("id", "first")
     pairs = near(classes)
     of_train = side(coded, "class", "train_id", False).withColumnRenamed("class", "train")
     of_held = side(coded, "class", "held_id", True).withColumnRenamed("class", "held")
