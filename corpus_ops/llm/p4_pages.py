@@ -271,7 +271,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, line_no, main of each non-blank line of each web page."""
     pages = _pages(spark, sf_dir)
-    sample = pages.orderBy(F.xxhash64("rec_id"), "rec_id").limit(PAGES).collect()
+    # ids first: every task sends its first PAGES rows to the driver
+    ids = [r.rec_id for r in pages.select("rec_id").orderBy(F.xxhash64("rec_id"), "rec_id").limit(PAGES).collect()]
+    sample = pages.where(F.col("rec_id").isin(ids)).dropDuplicates(["rec_id"]).orderBy("rec_id").collect() if ids else []
     held = spark.sparkContext.broadcast(fit([r.text for r in sample]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
