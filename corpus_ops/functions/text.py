@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What counts as white space.
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters one by one, for trimming without a pattern.
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -16,7 +18,7 @@ def let(value: Column, then) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def lines(text: Column) -> Column:
@@ -26,7 +28,7 @@ def lines(text: Column) -> Column:
 
 def alphabetic(text: Column) -> Column:
     """Number of letters and white space."""
-    return F.length(F.regexp_replace(text, rf"[^\p{{L}}{SPACES}]", ""))
+    return F.length(F.regexp_replace(text, rf"[^\p{{L}}{SPACES}]+", ""))
 
 
 def tokens(text: Column) -> Column:

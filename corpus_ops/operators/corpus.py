@@ -36,12 +36,12 @@ def quality_reason(text: Column) -> Column:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, source, chat, body (what is judged), n_chars (of the record) and reason."""
+    """rec_id, source, chat, body (what is judged), n_chars (of the record), reason, and key (a hash of the stripped body)."""
     records = table(spark, sf_dir, "records").select("rec_id", "source", "text", turns(F.col("messages")).alias("messages"))
     body = F.coalesce("text", flat(F.col("messages")), F.lit(""))
     said = F.aggregate(F.col("messages"), F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
     rows = records.select("rec_id", "source", F.col("messages").isNotNull().alias("chat"), body.alias("body"), F.coalesce(F.length("text").cast("long"), said, F.lit(0).cast("long")).alias("n_chars"))
-    return rows.withColumn("reason", quality_reason(F.col("body")))
+    return rows.withColumn("reason", quality_reason(F.col("body"))).withColumn("key", F.sha2(strip(F.col("body")), 256))
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
     The first of each key is a minimum, combined on the map side, and joined back, so a hot key is a skewed join side
     that adaptive execution can split, and no group is sorted in one task.
     """
-    keyed = rows.where("reason is null").withColumn("key", F.sha2(strip(F.col("body")), 256))
+    keyed = rows.where("reason is null")
     first = keyed.groupBy("key").agg(F.min("rec_id").alias("first"))
     return keyed.join(first, "key").withColumn("copy_of", F.when(F.col("first") < F.col("rec_id"), F.col("first"))).drop("first", "key")
 
@@ -108,7 +108,7 @@ def first_kept(edges: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     """Every record with its fate: reason of the quality rules, 'exact copy', 'near copy', or null if it is kept."""
-    rows = judged(spark, sf_dir)
+    rows = kept(judged(spark, sf_dir)) if near else kept(judged(spark, sf_dir).drop("body"))  # used twice and more; the rules are the cost
     unique = without_copies(rows)
     copies = unique.where("copy_of is not null").select("rec_id", F.lit("exact copy").alias("copy"))
     if near:

@@ -50,10 +50,11 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, source, n_chars, n: each record's rendered text in word tokens, and one for its end."""
     text = record_text(F.col("text"), turns(F.col("messages")))
     rows = table(spark, sf_dir, "records").select("rec_id", "source", text.alias("t")).where(F.col("t") != "")
-    return rows.select("rec_id", "source", F.length("t").cast("long").alias("n_chars"), (F.size(tokens(F.col("t"))) + 1).cast("long").alias("n")).where("n > 1")
+    return rows.select("rec_id", "source", F.length("t").cast("long").alias("n_chars"), (F.size(tokens(F.col("t"))) + 1).cast("long").alias("n"))
 
 
 def in_splits(docs: DataFrame, fraction: float = VAL) -> DataFrame:
+    docs = kept(docs).where("n > 1")
     total = docs.agg(F.count("*").alias("total"))
     share = effective(F.col("total"), fraction)
     return docs.join(F.broadcast(total)).withColumn("split", F.when(is_val(F.col("source"), share), "val").otherwise("train")).drop("total")
@@ -199,7 +200,7 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("split", "n_documents", "n_tokens", F.round(F.col("c") / F.col("n_tokens"), 9).alias("chars_per_token"))
 
 
-def pack_index(spark: SparkSession, sf_dir: str, limit: int = 50_000) -> DataFrame:
+def pack_index(spark: SparkSession, sf_dir: str, limit: int = 200_000) -> DataFrame:
     """split, shard, n_documents, tokens of shards filled in order of rec_id."""
     packed = shards(in_splits(lengths(spark, sf_dir)).select("rec_id", "split", "n"), "rec_id", "n", limit)
     return packed.groupBy("split", "shard").agg(F.count("*").alias("n_documents"), F.sum("n").alias("tokens"))
@@ -292,7 +293,7 @@ ORACLES = {
     "pack_index": _LENGTHS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
     + """, o AS (SELECT split, n, row_number() OVER (PARTITION BY split ORDER BY rec_id) AS k FROM x),
      w AS (SELECT split, k, n, 0::BIGINT AS shard, n::BIGINT AS fill FROM o WHERE k = 1
-           UNION ALL SELECT o.split, o.k, o.n, CASE WHEN w.fill >= 50000 THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.fill >= 50000 THEN o.n ELSE w.fill + o.n END FROM w JOIN o ON o.split = w.split AND o.k = w.k + 1)
+           UNION ALL SELECT o.split, o.k, o.n, CASE WHEN w.fill >= 200000 THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.fill >= 200000 THEN o.n ELSE w.fill + o.n END FROM w JOIN o ON o.split = w.split AND o.k = w.k + 1)
 SELECT split, shard, count(*) AS n_documents, sum(n)::BIGINT AS tokens FROM w GROUP BY 1, 2""",
     "example_lengths": """WITH d AS (SELECT run_id, example_id, any_value(n_tokens) AS n_tokens, any_value(n_supervised) AS n_supervised FROM train_examples WHERE split = 'train' AND n_tokens > 0 GROUP BY 1, 2)
 SELECT run_id, count(*) AS n_examples, sum(n_tokens)::BIGINT AS n_tokens, sum(n_supervised)::BIGINT AS n_supervised, floor(quantile_cont(n_tokens, 0.95))::BIGINT AS p95 FROM d GROUP BY 1""",

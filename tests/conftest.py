@@ -10,17 +10,21 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+    session = (
+        SparkSession.builder.master("local[4]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
 
 @pytest.fixture
 def put(spark, tmp_path):
-    """Writes rows as a table and gives the directory."""
+    """Writes rows as a table and gives the folder."""
 
     def write(name, rows, schema):
-        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
         return str(tmp_path)
 
     return write
