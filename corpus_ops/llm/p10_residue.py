@@ -31,6 +31,10 @@ SEEDS = 400
 WINDOW = {"slot": 8, "filler": 20, "notice": 20}
 LEAST = {"slot": 1.5, "filler": 1.2, "notice": 1.2}
 COVERED = 0.6
+#: Most that an n-gram counts for a class whose seeds don't have it: names in slots are many.
+UNSEEN = {"slot": 1.0, "filler": 0.0, "notice": 0.0}
+#: Share of the seeds' n-grams from which a window is not counted as prose.
+OWN = 0.85
 
 #: The vocabulary of the usual filler text.
 LOREM = (
@@ -112,7 +116,9 @@ def fit(prose: np.ndarray) -> dict[str, np.ndarray]:
         counts = np.zeros(1 << POWER)
         for x in texts:
             np.add.at(counts, grams(f" {x} "), 1)
-        out[name] = np.clip(_logs(counts, 0.2 * counts.sum()) - base, -4, 4)
+        ratio = np.clip(_logs(counts, 0.2 * counts.sum()) - base, -4, 4)
+        # what no seed has tells nothing for the class, however rare it is in prose
+        out[name] = np.where(counts > 0, ratio, np.minimum(ratio, UNSEEN[name])).astype(np.float32)
     return out
 
 
@@ -158,14 +164,33 @@ def residue(text: str, models: dict[str, np.ndarray]) -> list[tuple[str, int, in
     return out
 
 
+def support() -> dict[str, np.ndarray]:
+    """The n-grams that the seeds of each class have."""
+    out = {}
+    for name, texts in seeds().items():
+        out[name] = np.zeros(1 << POWER, np.float32)
+        for x in texts:
+            out[name][grams(f" {x} ")] = 1
+    return out
+
+
+def prose_grams(text: str, known: dict[str, np.ndarray]) -> np.ndarray:
+    """The n-grams of a text but for windows made of those of the seeds: residue, however often copied, is not to pass for prose."""
+    keys = grams(text)
+    out = np.zeros(len(keys), bool)
+    for name, flags in known.items():
+        out |= marked(flags, keys, len(text), WINDOW[name], OWN)[: len(keys)]
+    return keys[~out]
+
+
 def prose_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all hashed n-grams of all documents: at most 2 ** POWER numbers, summed on the map side."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << POWER, np.int64)
+        total, known = np.zeros(1 << POWER, np.int64), support()
         for batch in batches:
             for text in batch["text"]:
-                np.add.at(total, grams(text), 1)
+                np.add.at(total, prose_grams(text, known), 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
 
