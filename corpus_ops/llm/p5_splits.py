@@ -44,6 +44,20 @@ def edits(n: int) -> int:
     return n // 9
 
 
+#: Words in which spans are chosen together.
+PIECE = 540
+
+
+def pick(cost: np.ndarray, n: int) -> list[int]:
+    """Starts of edits(n) + 1 disjoint spans with a small sum of costs: piece by piece, a ninth of its words in each."""
+    length, out = _span(n), []
+    ends = [*range(PIECE, n - PIECE // 2, PIECE), n]
+    for start, end in zip([0, *ends], ends):
+        count = edits(n) + 1 - len(out) if end == n else PIECE // 9
+        out += [start + i for i in choose(cost[start : end - length + 1], length, count)]
+    return out
+
+
 def choose(cost: np.ndarray, length: int, count: int) -> list[int]:
     """Starts of so many disjoint windows with the least sum of costs."""
     if not cost.any():
@@ -158,36 +172,41 @@ def near(coded: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for held, n, raw in zip(batch["class"], batch["n"], batch["raw"]):
+                own: dict[int, tuple[int, int]] = {}  # first and last place of each span: a text may repeat itself
                 win = windows(np.frombuffer(raw, np.int32), _span(n))
                 cost = np.zeros(len(win))
                 if len(seen):
                     place = np.minimum(np.searchsorted(seen, win), len(seen) - 1)
                     cost = np.where(seen[place] == win, times[place], 0.0)
-                out += [(held, n, i, win[i]) for i in choose(cost, _span(n), edits(n) + 1)]
-            yield pd.DataFrame(out, columns=["held", "held_n", "held_at", "win"]).astype({"held": "int64", "held_n": "int32", "held_at": "int32", "win": "int64"})
+                for i in pick(cost, n):
+                    own[int(win[i])] = own.get(int(win[i]), (i, i))[0], i
+                out += [(held, n, low, high, x) for x, (low, high) in own.items()]
+            yield pd.DataFrame(out, columns=["held", "held_n", "held_low", "held_high", "win"]).astype({"held": "int64", "held_n": "int32", "held_low": "int32", "held_high": "int32", "win": "int64"})
 
-    told = kept(coded.where("held").select("class", "n", "raw").mapInPandas(tell, "held long, held_n int, held_at int, win long"))
+    told = kept(coded.where("held").select("class", "n", "raw").mapInPandas(tell, "held long, held_n int, held_low int, held_high int, win long"))
     wanted = spark.sparkContext.broadcast(bitmap(told.select(F.col("win").alias("x"))))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         want = wanted.value
         for batch in batches:
-            ids, ns, ats, wins = [], [], [], []
+            ids, ns, lows, highs, wins = [], [], [], [], []
             for rec_id, n, raw in zip(batch["class"], batch["n"], batch["raw"]):
                 w = np.frombuffer(raw, np.int32)
                 for length in (LONG, SHORT) if n <= 18 else (LONG,):
                     win = windows(w, length)
                     if len(win):
                         hit = np.flatnonzero(marked(want, win))
-                        ids.append(np.full(len(hit), rec_id)), ns.append(np.full(len(hit), n)), ats.append(hit), wins.append(win[hit])
+                        found, low = np.unique(win[hit], return_index=True)
+                        high = len(hit) - 1 - np.unique(win[hit][::-1], return_index=True)[1]
+                        ids.append(np.full(len(found), rec_id)), ns.append(np.full(len(found), n)), lows.append(hit[low]), highs.append(hit[high]), wins.append(found)
             cat = lambda x, t: np.concatenate([np.empty(0, t), *x]).astype(t)
-            yield pd.DataFrame({"train": cat(ids, np.int64), "train_n": cat(ns, np.int32), "train_at": cat(ats, np.int32), "win": cat(wins, np.int64)})
+            yield pd.DataFrame({"train": cat(ids, np.int64), "train_n": cat(ns, np.int32), "train_low": cat(lows, np.int32), "train_high": cat(highs, np.int32), "win": cat(wins, np.int64)})
 
-    found = coded.where("not held").select("class", "n", "raw").mapInPandas(look, "train long, train_n int, train_at int, win long")
+    found = coded.where("not held").select("class", "n", "raw").mapInPandas(look, "train long, train_n int, train_low int, train_high int, win long")
     most = F.floor(F.greatest("held_n", "train_n") / 10)
     pairs = kept(
         found.join(told, "win")
-        .where((F.abs(F.col("held_n") - F.col("train_n")) <= most) & (F.abs(F.col("held_at") - F.col("train_at")) <= most) & (F.col("held") != F.col("train")))
+        .where((F.abs(F.col("held_n") - F.col("train_n")) <= most) & (F.col("held_low") <= F.col("train_high") + most) & (F.col("train_low") <= F.col("held_high") + most) & (F.col("held") != F.col("train")))
         .select("train", "held")
         .distinct()
     )

@@ -11,7 +11,7 @@ side have no pair; repeated rows give one pair; a document may have any length.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,32 +27,65 @@ RUN = 12
 BLOCK_WORDS = 2_000_000
 
 
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _sums(w: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w.astype(np.uint64) * powers[: len(w)], out=out[1:])
+    return out
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the tiles, longest first."""
-    free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
-    size = min(len(a), len(b))
-    while size >= least:
-        # Karp-Rabin at the present size; unmarked stretches only.
-        place, whole = defaultdict(list), np.ones(size, int)
-        span = np.convolve(free_b, whole, "valid") == size
-        for j, key in zip(np.flatnonzero(span).tolist(), windows(b, size)[span].tolist()):
+    """(start in a, start in b, length) of the tiles, longest first.
+
+    Karp-Rabin sums give the hash of any stretch; the greatest length at which unmarked stretches of both sides meet is
+    searched by halving, all meeting stretches of that length that don't overlap are marked, and so on.
+    """
+    n = max(len(a), len(b)) + 1
+    powers, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
+    sides = [(w, _sums(w, powers), np.ones(len(w), bool)) for w in (a, b)]
+    out, most = [], min(len(a), len(b))
+
+    def stretches(side, size: int) -> tuple[np.ndarray, np.ndarray]:
+        _, sums, free = side
+        inside = np.concatenate([[0], np.cumsum(free)])
+        at = np.flatnonzero(inside[size:] - inside[:-size] == size)
+        return at, (sums[at + size] - sums[at]) * inverse[at]
+
+    def meet(size: int) -> bool:
+        return bool(np.isin(stretches(sides[0], size)[1], stretches(sides[1], size)[1]).any())
+
+    while most >= least and meet(least):
+        low, high = least, most  # low meets
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if meet(middle) else (low, middle - 1)
+        size, marks = low, 0
+        (at_a, keys_a), (at_b, keys_b) = stretches(sides[0], size), stretches(sides[1], size)
+        shared = np.isin(keys_a, keys_b)
+        place = defaultdict(deque)
+        for j, key in zip(at_b.tolist(), keys_b.tolist()):
             place[key].append(j)
-        span, found = np.convolve(free_a, whole, "valid") == size, []
-        for i, key in zip(np.flatnonzero(span).tolist(), windows(a, size)[span].tolist()):
-            for j in place.get(key, ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k >= size:
-                    found.append((k, i, j))
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_a[i : i + k].all() and free_b[j : j + k].all():
-                free_a[i : i + k] = free_b[j : j + k] = False
-                out.append((i, j, k))
-        if not found:  # else what the longest left over may still hold a stretch of this size
-            if size == least:
-                break
-            size = max(least, size // 2)
+        free_a, free_b, taken = sides[0][2], sides[1][2], -1
+        for i, key in zip(at_a[shared].tolist(), keys_a[shared].tolist()):
+            if i < taken:
+                continue
+            found = place[key]
+            while found and not (free_b[found[0]] and free_b[found[0] + size - 1]):
+                found.popleft()
+            if found and (a[i : i + size] == b[found[0] : found[0] + size]).all():
+                j = found.popleft()
+                free_a[i : i + size] = free_b[j : j + size] = False
+                out.append((i, j, size))
+                taken, marks = i + size, marks + 1
+        most = size if marks else size - 1
     return out
 
 
@@ -82,7 +115,7 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", "text")
 
     def scan(block) -> DataFrame:
-        seeds = [(windows(w, RUN), k) for k, (_, w) in enumerate(block)]
+        seeds = [(np.unique(windows(w, RUN)), k) for k, (_, w) in enumerate(block)]
         keys = np.concatenate([np.empty(0, np.int64), *(s for s, _ in seeds)])
         owner = np.concatenate([np.empty(0, np.int32), *(np.full(len(s), k, np.int32) for s, k in seeds)])
         order = np.argsort(keys, kind="stable")
