@@ -78,8 +78,8 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.lower(F.trim("source"))
     docs = table(spark, sf_dir, "documents").where("text is not null and source is not null").select("doc_id", source.alias("source"), "text")
     wanted = table(spark, sf_dir, "mix_targets").where("target_share > 0").select(source.alias("source")).distinct()
-    counted = docs.join(wanted, "source", "left_semi").select("doc_id", "source", token_counts()("text").alias("n_tokens")).where("n_tokens > 0")
-    return kept(counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(BUCKETS))))
+    counted = docs.join(wanted, "source", "left_semi").select("doc_id", "source", token_counts()("text").alias("n_tokens"))
+    return kept(counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(BUCKETS)))).where("n_tokens > 0")  # a filter below would count twice
 
 
 def plan(spark: SparkSession, sf_dir: str, counted: DataFrame, total: float | None = None) -> DataFrame:
