@@ -44,6 +44,7 @@ SPACE, DIGIT, LETTER, SYMBOL, BREAK = 0, 1, 2, 3, 4
 _LETTERS = np.array([ord(c) for c in "abcdefghijklmnopqrstuvwxyz"], np.uint32)
 _LEVELS = np.array([ord(c) for c in "[diwetf"], np.uint32)
 ENDS = np.array([ord(c) for c in ".!?:;…\"'”»)。！？"], np.uint32)
+STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 SYMBOLS = np.array([ord(c) for c in "#…"], np.uint32)
 #: Forms of whole lines, tried only on lines that can have them.
 BULLET = re.compile(r"[ \t]*(?:[-*•+–—▪◦‣·●○]|\(?\d{1,3}[.)]|\(?[a-z][.)])[ \t]+\S")
@@ -194,7 +195,11 @@ def rejected(b: Batch, x: dict[str, np.ndarray]) -> np.ndarray:
     bad |= (n_words >= 40) & (distinct < PARAGRAPH["distinct_words"] * np.minimum(words, 200))
     # a list without marks: short lines that do not end
     ends = total(x["ended"] & ~blank)
-    bad |= (count >= 3) & (solid < 32 * count) & (ends < 0.4 * count)
+    stops = np.isin(b.chars, STOPS)
+    stops[:-1] &= (b.kind[1:] == SPACE) | (b.kind[1:] == BREAK)
+    inside = total(b.per_line(stops))
+    # wrapped prose has its sentences' ends somewhere
+    bad |= (count >= 3) & (solid < 32 * count) & (ends < 0.4 * count) & (n_words <= 5 * count) & (inside * 40 < n_words)
     bad &= ~(wide & (n_words > 0))
     line_bad = np.where(blank, False, marked | bad[group])
     return np.bincount(b.line_text, np.where(line_bad, x["solid"], 0), len(b.texts))
