@@ -27,7 +27,7 @@ SUFFIXES = (".py", ".js", ".ts", ".c", ".go")
 NOTICES = {
     "generated": (
         "@generated", "auto-generated", "autogenerated", "auto generated", "automatically generated", "generated automatically", "automatically built", "built automatically",
-        "code generated by", "file generated by", "generated by the", "was generated by", "is generated by", "produced with", "machine-made by", "machine generated", "any change will be overwritten", "manual edits are lost", "changes will be lost", "do not edit by hand",
+        "code generated by", "file generated by", "generated by the", "was generated by", "is generated by", "machine-made by", "machine generated", "any change will be overwritten", "manual edits are lost", "changes will be lost", "do not edit by hand",
     ),
     "vendored": (
         "third-party copy", "third party copy", "vendored from", "copied unchanged from", "copied verbatim from", "bundled snapshot of", "upstream tag", "send fixes upstream", "keep in step with upstream", "taken from upstream", "imported from upstream",
