@@ -65,6 +65,13 @@ def shingles(text: Column) -> Column:
     return let(tokens(text), runs)
 
 
+def same_sets(sets: DataFrame) -> DataFrame:
+    """id, s, first of rows (id, s): the smallest id with the same set, so that copies of any number stand as one."""
+    keyed = kept(sets.where(F.size("s") > 0).select("id", "s", F.sha2(F.array_join(F.sort_array("s"), ","), 256).alias("key")))
+    first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    return kept(keyed.join(first, "key").select("id", "s", "first", "size"))
+
+
 def similar_pairs(sets: DataFrame) -> DataFrame:
     """a < b of rows (id, s) whose sets have a Jaccard similarity of SIMILAR or more; loses no pair.
 
@@ -112,8 +119,10 @@ def clean(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     unique = without_copies(rows)
     copies = unique.where("copy_of is not null").select("rec_id", F.lit("exact copy").alias("copy"))
     if near:
-        texts = unique.where("copy_of is null and not chat").select(F.col("rec_id").alias("id"), shingles(F.col("body")).alias("s"))
-        copies = copies.unionByName(first_kept(similar_pairs(texts)).select(F.col("id").alias("rec_id"), F.lit("near copy").alias("copy")))
+        texts = same_sets(unique.where("copy_of is null and not chat").select(F.col("rec_id").alias("id"), shingles(F.col("body")).alias("s")))
+        # a later text with the same set is dropped whether the first is kept (by it) or dropped (by what dropped the first)
+        again = texts.where("first < id").select("id").unionByName(first_kept(similar_pairs(texts.where("first = id").select("id", "s"))))
+        copies = copies.unionByName(again.select(F.col("id").alias("rec_id"), F.lit("near copy").alias("copy")))
     return rows.join(copies, "rec_id", "left").select("rec_id", "source", "chat", "n_chars", F.coalesce("reason", "copy").alias("fate"))
 
 
@@ -139,11 +148,15 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, n_links: prose records, first of their exact copies, with near copies (Jaccard of five-word shingles 0.8 or more)."""
+    """rec_id, class_of (the first with the same shingles), n_links: prose records, first of their exact copies, with near copies (Jaccard of five-word shingles 0.8 or more)."""
     unique = without_copies(judged(spark, sf_dir)).where("copy_of is null and not chat").select(F.col("rec_id").alias("id"), shingles(F.col("body")).alias("s"))
-    pairs = similar_pairs(unique)
-    both = pairs.select(F.col("a").alias("rec_id")).unionByName(pairs.select(F.col("b").alias("rec_id")))
-    return both.groupBy("rec_id").agg(F.count("*").alias("n_links"))
+    texts = same_sets(unique)
+    size = texts.where("first = id").select(F.col("id").alias("other"), "size")
+    pairs = kept(similar_pairs(texts.where("first = id").select("id", "s")))
+    linked = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("first"), F.col("a").alias("other")))
+    others = linked.join(size, "other").groupBy("first").agg(F.sum("size").alias("others"))
+    counted = texts.join(others, "first", "left").select(F.col("id").alias("rec_id"), F.col("first").alias("class_of"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return counted.where("n_links > 0")
 
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,8 +266,10 @@ SELECT rec_id, len(list_distinct(list_transform(range(1, len(w) - 3), lambda i:
      g AS (SELECT rec_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS x FROM w),
      n AS (SELECT rec_id, count(*) AS n FROM g GROUP BY 1),
      p AS (SELECT a.rec_id AS a, b.rec_id AS b, count(*) AS common FROM g a JOIN g b USING (x) WHERE a.rec_id < b.rec_id GROUP BY 1, 2),
-     q AS (SELECT a, b FROM p JOIN n na ON na.rec_id = a JOIN n nb ON nb.rec_id = b WHERE common >= 0.8 * (na.n + nb.n - common))
-SELECT rec_id, count(*) AS n_links FROM (SELECT a AS rec_id FROM q UNION ALL SELECT b FROM q) GROUP BY 1""",
+     q AS (SELECT a, b FROM p JOIN n na ON na.rec_id = a JOIN n nb ON nb.rec_id = b WHERE common >= 0.8 * (na.n + nb.n - common)),
+     k AS (SELECT rec_id, md5(string_agg(x, '|' ORDER BY x)) AS k FROM g GROUP BY 1),
+     c2 AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY k) AS class_of FROM k)
+SELECT rec_id, class_of, count(*) AS n_links FROM (SELECT a AS rec_id FROM q UNION ALL SELECT b FROM q) JOIN c2 USING (rec_id) GROUP BY 1, 2""",
     "corpus_analysis": _BODY
     + """, x AS (SELECT file, bool_or(fate IS NULL) AS used FROM f GROUP BY 1),
      y AS (SELECT count(*) FILTER (fate IS NULL) AS n_documents, coalesce(sum(n_chars) FILTER (fate IS NULL), 0)::BIGINT AS n_chars, count(*) FILTER (fate IS NULL AND chat) AS n_chat,
