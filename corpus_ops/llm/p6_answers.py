@@ -2,8 +2,9 @@
 
 Refusals come out of templates: the openings of all answers (their first two sentences) are counted by question, put in
 MinHash bands of five-word shingles, and each is verified against the smallest of its bucket at a Jaccard similarity of
-SIMILAR or more. A cluster that recurs over RECUR or more different questions is a template; a few published refusals
-(SEEDS) take part as labelled members. Templates whose speaker declines (first person and negation) tell what refusals
+SIMILAR or more. What the bands leave apart meets again in its rarest shingles, which loses no pair, and links are
+followed over any number of steps: a cluster is all that such pairs connect. A cluster that recurs over RECUR or more
+different questions is a template; a few published refusals (SEEDS) take part as labelled members. Templates whose speaker declines (first person and negation) tell what refusals
 consist of, as a set of word trigrams, the other templates what courtesies consist of. An answer is a refusal if one of
 its opening sentences consists of the former and what neither covers is no more than OVER words. Copies of the
 question, another language and missing ends are told by checks of each pair; whether a last word can end a sentence is
@@ -17,6 +18,7 @@ any length are read whole. Empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -145,15 +147,102 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "opening", "n", "bucket"]).astype({"id": "int64", "n": "int64", "bucket": "int64"})
 
 
+def similar(x: set, y: set) -> bool:
+    return len(x & y) >= SIMILAR * len(x | y)
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch["opening"], batch["first"]):
-            x, y = shingles(a), shingles(b)
-            keep.append(len(x & y) >= SIMILAR * len(x | y))
+        keep = [similar(shingles(a), shingles(b)) for a, b in zip(batch["opening"], batch["first"])]
         yield batch.loc[keep, ["id", "opening", "n", "first_id"]]
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"id": batch["id"], "s": [[_hash(" ".join(x)) for x in shingles(text)] for text in batch["opening"]]})
+
+
+def partners(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(smaller class, larger class, which of them is its own: 0, 1 or 2 for both, members to look at) for each class of sizes that a set of n members can be similar to.
+
+    A class is told by its lowest size and has one size below 32, above that a 16th of the sizes to the next power of two.
+    Of two similar sets in one order of members, the first common one is among so many of each.
+    """
+    width = lambda size: 1 << max(0, size.bit_length() - 5)
+    low, high = math.ceil(SIMILAR * n - 1e-6), math.floor(n / SIMILAR + 1e-6)
+    own, other = n - n % width(n), low - low % width(low)
+    while other <= high:
+        common = math.ceil(SIMILAR / (1 + SIMILAR) * (n + max(other, low)) - 1e-6)
+        yield min(own, other), max(own, other), 2 if own == other else int(own > other), n - common + 1
+        other += width(other)
+
+
+def _rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for own, n, shared in zip(batch["id"], batch["size"], batch["shared"]):
+            # members of no other set come first in the order and meet nobody
+            out += [(own, _hash(f"{x}/{small}/{large}"), side) for small, large, side, k in partners(n) for x in shared[: max(0, k - n + len(shared))]]
+        yield pd.DataFrame(out, columns=["id", "bucket", "side"]).astype("int64")
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between the labels of similar openings, of rows in order of their bucket."""
+    now, groups = None, []
+    for batch in batches:
+        out = []
+        for bucket, label, side, opening in zip(batch["bucket"], batch["label"], batch["side"], batch["opening"]):
+            if bucket != now:
+                now, groups = bucket, []
+            own, facing, hits, rest = shingles(opening), (1, 0, 2)[side], [], []
+            for group in groups:  # what is one cluster already: labels, and openings by side
+                (hits if label in group[0] or any(similar(own, shingles(x)) for x in group[1][facing]) else rest).append(group)
+            out += [(label, min(g[0])) for g in hits if label not in g[0]]
+            home = max(hits, key=lambda g: sum(map(len, g[1])), default=(set(), ([], [], [])))
+            for g in hits:
+                if g is not home:
+                    home[0].update(g[0])
+                    for mine, theirs in zip(home[1], g[1]):
+                        mine.extend(theirs)
+            home[0].add(label)
+            home[1][side].append(opening)
+            groups = [*rest, home]
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def left_apart(labelled: DataFrame) -> DataFrame:
+    """a, b: labels that similar openings of rows (id, opening, label) have; with them no pair is lost.
+
+    Openings meet in their rarest shingles by pairs of sizes (prefix filter); only buckets with several labels and both sizes are compared.
+    """
+    sets = kept(labelled.mapInPandas(_sets, "id long, s array<long>")).select("id", F.size("s").alias("size"), F.explode("s").alias("x"))
+    often = sets.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    shared = sets.join(often, "x").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "x")))["x"].alias("shared")).where(F.size("shared") >= SIMILAR * F.col("size"))
+    rare = kept(shared.mapInPandas(_rare, "id long, bucket long, side long").join(labelled.select("id", "label"), "id"))
+    several = rare.groupBy("bucket").agg(F.expr("min(label) < max(label) and (min(side) < max(side) or max(side) = 2)").alias("open")).where("open").select("bucket")
+    met = rare.join(several, "bucket").select("id", "bucket", "side").join(labelled.select("id", "label", "opening"), "id").drop("id")
+    return met.repartition("bucket").sortWithinPartitions("bucket", "label").mapInPandas(_linked, "a long, b long")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """label, first (the smallest that links a, b lead to over any number of steps) of every label but the first ones.
+
+    Large and small stars in turn until nothing changes: rounds grow with the logarithm of the longest chain.
+    """
+    now = kept(links.select(F.greatest("a", "b").alias("label"), F.least("a", "b").alias("first")).where("label > first").distinct())
+    while True:
+        both = now.unionByName(now.select(F.col("first").alias("label"), F.col("label").alias("first")))
+        low = both.groupBy("label").agg(F.least(F.min("first"), "label").alias("low"))
+        large = both.join(low, "label").where(F.col("first") > F.col("label")).select(F.col("first").alias("label"), F.col("low").alias("first")).distinct()
+        low = large.groupBy("label").agg(F.min("first").alias("low"))
+        small = large.join(low, "label").where(F.col("first") > F.col("low")).select(F.col("first").alias("label"), F.col("low").alias("first"))
+        after = kept(small.unionByName(low.select("label", F.col("low").alias("first"))).distinct())
+        changed = after.unionByName(now).groupBy("label", "first").count().where("count = 1").limit(1).count()
+        now = after
+        if not changed:
+            return now
+
+
 def templates(chats: DataFrame) -> DataFrame:
     """opening, n_questions (of its cluster) of the openings that recur over RECUR or more questions."""
     spark = chats.sparkSession
@@ -166,9 +255,10 @@ def templates(chats: DataFrame) -> DataFrame:
     edges = banded.join(first, "bucket").select("id", "opening", "n", "first", "first_id").distinct().mapInPandas(_verified, "id long, opening string, n long, first_id long")
     single = banded.select("id", "opening", "n", F.col("id").alias("first_id")).distinct()
     labelled = edges.unionByName(single).groupBy("id", "opening", "n").agg(F.min("first_id").alias("label"))
-    # A label may itself have a smaller one: one step more joins the stars.
+    # A label may itself have a smaller one: one step more joins most of the stars, so that less is left to compare.
     up = labelled.select(F.col("id").alias("label"), F.col("label").alias("top"))
-    labelled = kept(labelled.join(up, "label", "left").select("opening", "n", F.coalesce("top", "label").alias("label")))
+    labelled = kept(labelled.join(up, "label", "left").select("id", "opening", "n", F.coalesce("top", "label").alias("label")))
+    labelled = labelled.join(connected(left_apart(labelled)), "label", "left").select("opening", "n", F.coalesce("first", "label").alias("label"))
     sizes = labelled.groupBy("label").agg(F.sum("n").alias("n_questions")).where(F.col("n_questions") >= RECUR)
     return labelled.join(sizes, "label").select("opening", "n_questions")
 

@@ -191,6 +191,45 @@ def test_p6_minhash_finds_similar_openings():
     assert hits >= 190
 
 
+def test_p6_clusters_lose_no_link(spark):
+    """Every pair at the least similarity is a link, and links are followed over any number of steps."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(60)}"
+    texts = []
+    for size in (3, 5, 7, 9, 11, 13, 16, 20, 25, 34, 40, 70, 150) * 2:
+        w = [word() for _ in range(size)]
+        for _ in range(rng.randrange(4, 24)):
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(w) + 1)
+                w = w[:k] + [word()] * rng.randrange(2) + w[k + rng.randrange(2) :]
+            texts += [" ".join(w)] * (len(w) >= 3)
+    texts += [" ".join(f"c{j}" for j in range(k, k + 20)) for k in range(40)]  # each similar to the last and the next only
+    rows = [([("user", f"q{rng.randrange(40)}"), ("assistant", x)],) for x in texts]
+    got = {tuple(r) for r in p6_answers.templates(spark.createDataFrame(rows, "messages array<struct<role string, content string>>")).collect()}
+
+    asked = {}
+    for ((_, q), (_, x)), in rows:
+        asked.setdefault(x, set()).add(q)
+    for x in p6_answers.SEEDS + p6_answers.COMBINED + p6_answers.COURTESIES:
+        asked.setdefault(" ".join(p6_answers.said(x)), set()).update(range(3))
+    sets = {x: p6_answers.shingles(x) for x in asked}
+    holders = {}
+    for x, s in sets.items():
+        for member in s:
+            holders.setdefault(member, []).append(x)
+    todo, want = set(asked), set()
+    while todo:
+        cluster, open_ = set(), [todo.pop()]
+        while open_:
+            x = open_.pop()
+            cluster.add(x)
+            near = {y for member in sets[x] for y in holders[member] if y in todo and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+            todo -= near
+            open_ += near
+        n = sum(len(asked[x]) for x in cluster)
+        want |= {(x, n) for x in cluster if n >= p6_answers.RECUR}
+    assert got == want
+
 
 
 def test_p2_found(spark, put):
